@@ -5,7 +5,7 @@ order, as signed bytes, with a quantisation table of ones. Each component has a
 selection, and refinement scans by successive approximation; a restart interval of one block makes every block's bits
 a lane of their own. `coefficients` reads progressive images of any scan script, Huffman tables, sampling and restart
 interval: scans of the same kind are decoded side by side, one lane a restart segment, accumulating into coefficient
-arrays. `rgb` dequantises, inverse-transforms, upsamples chroma and converts to RGB. Sums in the transform are exact
+arrays. `pixels` dequantises and inverse-transforms, `rgb` upsamples chroma and converts to RGB. Sums in the transform are exact
 (a fixed-point matrix in float64), so equal images give equal tensors in any batch.
 
 Defined cases: a null text is empty; the shortest payload is 64 zero bytes; blocks past the payload are zero; the
@@ -472,14 +472,14 @@ def coefficients(datas: list[bytes]) -> tuple[list[Image], np.ndarray, np.ndarra
             bits, blocks, table = Bits([one[-1] for _, one in group]), [], []
             for (n, one), lanes in zip(group, bits.lanes_of.tolist(), strict=True):
                 img, comps = images[n], [c[0] for c in one[0]]
-                key = (img.width, img.height, tuple(img.parts), tuple(comps))
+                key = (n, tuple(comps))
                 if key not in orders:
-                    orders[key] = order_of(img, comps)
+                    b, t, unit = order_of(img, comps)
+                    orders[key] = b + first[n], t, unit
                 b, t, unit = orders[key]
                 size = unit * restart or len(b)
                 if lanes != -(-len(b) // size):
                     raise ValueError("restart markers don't fit the image")
-                b = b + first[n]
                 if pad := lanes * size - len(b):
                     b, t = np.pad(b, (0, pad), constant_values=-1), np.pad(t, (0, pad))
                 blocks.append(b.reshape(lanes, size))
@@ -497,20 +497,32 @@ _COS = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(0.5) if u == 0
 _INVERSE = np.round(np.einsum("ux,vy->uvxy", _COS, _COS).reshape(64, 64)[ZIGZAG] * 65536)
 
 
-def rgb(img: Image, coef: np.ndarray) -> np.ndarray:
-    """Full-resolution height x width x 3 tensor of bytes."""
+def pixels(images: list[Image], coef: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Dequantised and inverse-transformed blocks of all images, as bytes in pixel order."""
+    scale = coef.astype(np.float64)
+    for img, a in zip(images, first[:-1].tolist(), strict=True):
+        for (_, _, _, t), (begin, columns, rows, _, _) in zip(img.parts, img.grids, strict=True):
+            if (img.tables[t] != 1).any():
+                scale[a + begin : a + begin + columns * rows] *= img.tables[t]
+    out = scale @ _INVERSE
+    out *= 1 / 65536
+    out += 128.5
+    return np.clip(out, 0, 255, out=out).astype(np.uint8)
+
+
+def rgb(img: Image, px: np.ndarray) -> np.ndarray:
+    """Full-resolution height x width x 3 tensor of bytes; px: the image's blocks of pixels."""
     planes = []
     h, v = max(p[1] for p in img.parts), max(p[2] for p in img.parts)
-    for (_, ph, pv, t), (first, columns, rows, _, _) in zip(img.parts, img.grids, strict=True):
-        quant = img.tables[t].astype(np.float64)
-        px = np.floor((coef[first : first + columns * rows] * quant) @ _INVERSE / 65536 + 128.5).clip(0, 255)
-        plane = px.reshape(rows, columns, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, columns * 8)
+    for (_, ph, pv, _), (first, columns, rows, _, _) in zip(img.parts, img.grids, strict=True):
+        plane = px[first : first + columns * rows].reshape(rows, columns, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, columns * 8)
         planes.append(plane.repeat(v // pv, 0).repeat(h // ph, 1)[: img.height, : img.width])
     if len(planes) < 3:
         return np.repeat(planes[0][:, :, None], 3, 2).astype(np.uint8)
-    y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
-    out = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], 2)
-    return np.floor(out + 0.5).clip(0, 255).astype(np.uint8)
+    y, cb, cr = (p.astype(np.int32) for p in planes)
+    cb, cr, y = cb - 128, cr - 128, (y << 16) + 32768
+    out = np.stack([y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb], 2) >> 16
+    return np.clip(out, 0, 255, out=out).astype(np.uint8)
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -520,9 +532,9 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
 
 def feature(tensor: np.ndarray) -> str:
     """Size, and per colour the mean and mean square in hundredths, from exact integer sums."""
-    flat = tensor.reshape(-1, 3).astype(np.int64)
+    flat = tensor.reshape(-1, 3).astype(np.uint32)
     n = len(flat)
-    return f"{tensor.shape[1]}x{tensor.shape[0]}:" + ",".join(f"{100 * a // n}/{100 * b // n}" for a, b in zip(flat.sum(0).tolist(), (flat * flat).sum(0).tolist(), strict=True))
+    return f"{tensor.shape[1]}x{tensor.shape[0]}:" + ",".join(f"{100 * a // n}/{100 * b // n}" for a, b in zip(flat.sum(0, np.int64).tolist(), (flat * flat).sum(0, np.int64).tolist(), strict=True))
 
 
 def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tensors: bool = False) -> DataFrame:
@@ -536,10 +548,10 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tensors
     def batch(ids: list, held: list[tuple[bytes, int]]) -> pa.RecordBatch:
         media = encode([p for p, _ in held])
         images, coef, first = coefficients(media)
-        rows = []
+        px, rows = pixels(images, coef, first), []
         for i, (_, n), m, img, a in zip(ids, held, media, images, first.tolist(), strict=False):
             back = coef[a : a + img.payload].astype(np.int8).tobytes()
-            tensor = rgb(img, coef[a : a + img.blocks])
+            tensor = rgb(img, px[a : a + img.blocks])
             row = (i, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(tensor))
             rows.append(row + ((m, tensor.shape[0], tensor.shape[1], tensor.tobytes()) if tensors else ()))
         types = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]

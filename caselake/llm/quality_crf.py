@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,19 +169,30 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> LineCr
     return LineCrf().fit([np.frombuffer(r["f"], np.float32).reshape(-1, SIZE) for r in got], [r["quality"] for r in got])
 
 
-def score(docs: DataFrame, model: LineCrf, extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score; `extra` columns of docs pass through."""
+def _scored(docs: DataFrame, model: LineCrf, kept: list[str], name: str, least: float | None = None) -> DataFrame:
+    """The columns in `kept` and the score as `name`; with `least`, only rows that reach it."""
     weights, move = model.weights, model.move
-    keep = [f for f in docs.schema.fields if f.name in extra]
-    schema = ", ".join(["doc_id long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "score double"])
+    fields = [docs.schema[c] for c in kept]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{name}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = LineCrf(weights, move)
         for b in batches:
             got = pa.array(crf.scores(b.column(b.num_columns - 1).to_pylist()), pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], got], [*b.schema.names[:-1], "score"])
+            out = pa.RecordBatch.from_arrays([*b.columns[:-1], got], [*b.schema.names[:-1], name])
+            yield out if least is None else out.filter(pc.greater_equal(got, least))
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(f"`{f.name}`") for f in keep], F.col("text").alias("__text")), run, schema)
+    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").alias("__text")), run, schema)
+
+
+def score(docs: DataFrame, model: LineCrf) -> DataFrame:
+    """doc_id, score, one per row."""
+    return _scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, ["doc_id"], "score")
+
+
+def accepted(docs: DataFrame, model: LineCrf, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score at or above the threshold, all their columns as they are."""
+    return _scored(docs, model, docs.columns, "__score", threshold).drop("__score")
 
 
 def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

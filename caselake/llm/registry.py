@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, exact_dedup, html_extract, line_dedup, ngram_join, packing, progressive_jpeg, quality_crf, suffix_dedup
+from . import bpe, exact_dedup, html_extract, line_dedup, ngram_join, packing, progressive_jpeg, quality_crf, suffix_dedup, warc_fixity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_warc_fixity": warc_fixity.op2_warc_fixity,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_packing": packing.op4_packing,
     "op5_quality_crf": quality_crf.op5_quality_crf,
@@ -13,4 +14,4 @@ QUERIES = {
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_html_extract": html_extract.op10_html_extract,
 }
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_warc_fixity": warc_fixity.ORACLE}
