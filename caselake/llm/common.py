@@ -63,7 +63,8 @@ def components(links: DataFrame, name: str = "components", rounds: int = 60) ->
         low2 = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = stage(small.union(low2.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-        done = new.select("u").intersect(new.select("v")).limit(1).count() == 0 and new.groupBy("u").count().where("count > 1").limit(1).count() == 0
+        ends = new.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(new.select("v", F.lit(0), F.lit(1)))
+        done = not ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").limit(1).count()
         edges = new
         if done:
             break
