@@ -14,6 +14,7 @@ text. An empty table gives an empty result. Other columns of the input are ignor
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow, stage
 
 WINDOW, END_ID, GROUP, MEMO = 4096, 2, 8192, 300_000
+#: A full stop or comma after what may not be a letter or digit any more once normalised.
+_ODD = re.compile("[^A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f\\s][.,]\\s")
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -38,6 +41,9 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
+        vocab = self.model.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
@@ -48,22 +54,42 @@ class WordBpe:
                 memo[w] = older[w]
             else:
                 new.append(w)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        plain = [w for w in new if w.isalpha()]
+        other = [w for w in new if not w.isalpha()]
+        for at in range(0, len(plain), 20_000):
+            part = plain[at : at + 20_000]
+            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part):  # every one is a single word of the model, as letters alone are but for rare foldings
+                self._deal(part, ids, ends)
+            else:
+                other += part
+        for at in range(0, len(other), 20_000):
+            part = other[at : at + 20_000]
             got = self.model.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(got.ids, np.uint32)
             begins = np.array([o[0] for o in got.offsets], np.int64)
-            ends = np.searchsorted(begins, np.cumsum([len(w) + 1 for w in part])) * 4
-            flat, start = ids.tobytes(), 0
-            for w, end in zip(part, ends.tolist(), strict=True):
-                memo[w] = flat[start:end]
-                start = end
+            self._deal(part, np.array(got.ids, np.uint32), np.searchsorted(begins, np.cumsum([len(w) + 1 for w in part])))
+
+    def _deal(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        flat, start, memo = ids.tobytes(), 0, self.memo
+        for w, end in zip(words, (4 * ends).tolist(), strict=True):
+            memo[w] = flat[start:end]
+            start = end
+
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        """Parts that the model never joins. A full stop or comma after a letter or digit and before a space is a word
+        of its own, so it is cut off, unless the text has one after any other sign."""
+        text = text.replace("\n", " ")
+        if not _ODD.search(text):
+            text = text.replace(". ", " . ").replace(", ", " , ")
+        return text.split(" ")
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.memo) > MEMO:
             self.memo, self.older = {"": b""}, self.memo
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        cut = [self.cut(t or "") for t in texts]
         self.learn(set().union(*cut))
         get = self.memo.__getitem__
         return [b"".join(map(get, words)) for words in cut]
