@@ -153,7 +153,9 @@ def counts(page: str) -> Counter:
 
 def learn(pages: DataFrame, bound: int = TRAIN_PAGES) -> dict[str, float]:
     """Weights from at most `bound` pages, the first by hash of their url and id; a few hundred sums come back."""
-    chosen = pages.select("html", F.xxhash64("url", "page_id").alias("k")).where("html is not null").orderBy("k").limit(bound)
+    keyed = pages.select("html", F.xxhash64("url", "page_id").alias("k")).where("html is not null")
+    picked = keyed.select("k").orderBy("k").limit(bound).distinct()  # at most `bound` numbers
+    chosen = keyed.join(F.broadcast(picked), "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
