@@ -72,8 +72,8 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
-def test_index_persists(spark, docs):
-    path = f"{common.shared_folder(spark)}/index-test"
+def test_index_persists(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/index"
     index = exact_dedup.DigestIndex(spark, path, 4)
     exact_dedup.exact_dedup(docs, index=index, batches=1)
     n = index.rows().count()
