@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,3 +52,29 @@ def fixed_chunks(docs: DataFrame, doc: str, text: str, size: int = 1600, overlap
     last = F.greatest(F.lit(0), F.ceil((F.length(text) - size) / step)).cast("int")
     rows = docs.select(doc, text, F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
     return rows.select(doc, "chunk", (F.col("chunk") * step).alias("begin"), F.substring(F.col(text), F.col("chunk") * step + 1, F.lit(size)).alias("content"))
+
+
+def word_chunks(docs: DataFrame, doc: str, text: str, size: int = 1600, overlap: int = 200) -> DataFrame:
+    """doc, chunk, begin, content: windows that end at the last blank beyond 60 % of their size, if there is one, the
+    next `overlap` before that; contents are trimmed, empty ones left out. Each window needs the end of the one
+    before, so a task streams its texts; positions are code points and null texts make no chunks."""
+    if not 0 <= overlap < size * 0.6:
+        raise ValueError("overlap must be less than 60 % of the size")
+
+    def cut(t: str) -> Iterator[tuple[int, str]]:
+        begin = 0
+        while begin < len(t):
+            end = min(len(t), begin + size)
+            blank = t.rfind(" ", begin, end + 1) if end < len(t) and len(t) > size else -1
+            end = blank if blank > begin + int(size * 0.6) else end
+            yield begin, t[begin:end].strip() if len(t) > size else t
+            if end == len(t):
+                return
+            begin = max(begin + 1, end - overlap)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = ((d, k, b, c) for d, t in zip(pdf[doc], pdf[text], strict=True) if t for k, (b, c) in enumerate(x for x in cut(t) if x[1]))
+            yield pd.DataFrame(rows, columns=[doc, "chunk", "begin", "content"])
+
+    return docs.select(doc, text).mapInPandas(run, f"`{doc}` {docs.schema[doc].dataType.simpleString()}, chunk int, begin int, content string")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from caselake.functions import text as fn
 from caselake.operators import events as ev
 from caselake.operators import graph, retrieval
+from caselake.sources import jsonl, transcripts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -391,3 +392,38 @@ def macro_scores(spark, sf_dir):
 @query("SELECT page_id, regexp_extract(url, '^https?://([^/#?]+)', 1) AS host, regexp_extract(url, '^https?://[^/#?]+([^#?]*)', 1) AS path FROM pages")
 def address_parse(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/#?]+)", 1).alias("host"), F.regexp_extract("url", "^https?://[^/#?]+([^#?]*)", 1).alias("path"))
+
+
+@query("""SELECT 'ses:generic:' || conv_id AS session_id, turn AS ordinal, CASE WHEN role = 'user' THEN 'message.user' ELSE 'message.agent' END AS kind,
+CASE WHEN role = 'user' THEN 'USER' ELSE 'PRIMARY_AGENT' END AS actor_kind, sha256(coalesce(text, '')) AS input_sha256 FROM conversations""")
+def transcript_generic(spark, sf_dir):
+    """conversations as lines of a generic transcript, read as any transcript is."""
+    turns = t(spark, sf_dir, "conversations")
+    line = F.to_json(F.struct(F.col("conv_id").cast("string").alias("session_id"), "role", F.col("text").alias("content")))
+    rows = turns.select(F.concat(F.lit("conversations/"), F.col("conv_id").cast("string")).alias("source"), F.col("turn").alias("ordinal"), line.alias("line"))
+    found = transcripts.normalized(jsonl.accounted(rows), families=("generic",))
+    return found.select("session_id", "ordinal", "kind", "actor_kind", fn.sha256(F.col("input")).alias("input_sha256"))
+
+
+@query()
+def redact_secrets(spark, sf_dir):
+    found = fn.redacted(t(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    kinds = F.array_join(F.transform("findings", lambda f: F.concat_ws(":", f["kind"], f["fingerprint"])), ",")
+    return found.select("doc_id", F.size("findings").cast("long").alias("n_findings"), kinds.alias("findings"), fn.sha256(F.col("text")).alias("redacted_sha256"))
+
+
+@query()
+def chunk_words(spark, sf_dir):
+    found = retrieval.word_chunks(t(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", "chunk", "begin", F.length("content").cast("long").alias("n_chars"), fn.sha256(F.col("content")).alias("content_sha256"))
+
+
+@query(_EDGES + """, b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), s0 AS (SELECT 'n' || n_nationkey AS node, min(n_nationkey + 1) AS seed_rank, 0 AS depth FROM nation WHERE n_regionkey = 0 GROUP BY 1),
+s1 AS (SELECT dst AS node, min(seed_rank) AS seed_rank, 1 AS depth FROM b JOIN s0 ON src = node WHERE dst NOT IN (SELECT node FROM s0) GROUP BY dst),
+s2 AS (SELECT dst AS node, min(seed_rank) AS seed_rank, 2 AS depth FROM b JOIN s1 ON src = node WHERE dst NOT IN (SELECT node FROM s0 UNION SELECT node FROM s1) GROUP BY dst),
+s AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2)
+SELECT node, seed_rank, depth, round(1 / (60 + seed_rank + 10 * depth), 9) AS contribution, (SELECT count(*) FROM s) > 500 AS truncated FROM s ORDER BY depth, seed_rank, node LIMIT 500""")
+def hybrid_graph(spark, sf_dir):
+    """Regions and nations as seeds, expanded over the star schema."""
+    seeds = t(spark, sf_dir, "nation").where("n_regionkey = 0").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"), (F.col("n_nationkey") + 1).alias("rank"))
+    return graph.seeded(_edges(spark, sf_dir), seeds, hops=2).withColumn("contribution", F.round("contribution", 9))
