@@ -18,8 +18,8 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def neighbors(edges: DataFrame, start: str, hops: int, direction: str = "both") -> DataFrame:
-    """node, depth of all nodes at most `hops` (up to 8) edges from start: a frontier join a hop, visited nodes are
-    anti-joined; nothing is collected."""
+    """node, depth of all nodes at most `hops` (up to 8) edges from start: the distinct ends of all walks of each length,
+    the least length counts. A hop's plan holds the one before it once, so the plan stays short; nothing is collected."""
     if not 0 <= hops <= 8:
         raise ValueError("hops must be from 0 to 8")
     steps = both_ways(edges) if direction == "both" else edges.select("src", "dst") if direction == "out" else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -28,9 +28,9 @@ def neighbors(edges: DataFrame, start: str, hops: int, direction: str = "both")
     frontier = seen
     for hop in range(1, hops + 1):
         found = steps.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        frontier = found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(hop)).select("node", "depth")
+        frontier = found.withColumn("depth", F.lit(hop))
         seen = seen.unionByName(frontier)
-    return seen
+    return seen.groupBy("node").agg(F.min("depth").alias("depth"))
 
 
 def identity(edges: DataFrame) -> DataFrame:
@@ -53,9 +53,10 @@ def seeded(edges: DataFrame, seeds: DataFrame, hops: int = 4, limit: int = 500)
     frontier = seen
     for hop in range(1, hops + 1):
         found = steps.join(frontier.select(F.col("node").alias("src"), "seed_rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("seed_rank").alias("seed_rank"))
-        frontier = found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(hop))
+        frontier = found.withColumn("depth", F.lit(hop))
         seen = seen.unionByName(frontier)
-    first = seen.orderBy("depth", "seed_rank", "node").limit(limit + 1)
+    least = seen.groupBy("node").agg(F.min(F.struct("depth", "seed_rank")).alias("m")).select("node", "m.*")
+    first = least.orderBy("depth", "seed_rank", "node").limit(limit + 1)
     order = Window.orderBy("depth", "seed_rank", "node")
     ranked = first.withColumn("__n", F.row_number().over(order)).withColumn("truncated", F.max("__n").over(Window.partitionBy()) > limit)
     return ranked.where(F.col("__n") <= limit).select("node", "seed_rank", "depth", (1 / (60 + F.col("seed_rank") + 10 * F.col("depth"))).alias("contribution"), "truncated")
