@@ -343,3 +343,33 @@ def test_pipeline_stages(spark, docs, tmp_path):
         assert now.count() <= docs.count()
     assert {r.doc_id for r in now.collect()} >= set(range(15, 40))
     assert corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).count() >= now.count()
+
+
+def test_line_threshold_grows(spark):
+    rng = random.Random(11)
+    pool = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9))) for _ in range(3000)]
+    lines = []
+    for n in [7, 8, 8, 9, 10, 12, 17, 18, 18, 27, 28, 40, 48, 60, 130, 400]:
+        base = [rng.choice(pool) for _ in range(n)]
+        lines.append(" ".join(base))
+        for more in (-1, 0, 1):
+            w = list(base)
+            for i in rng.sample(range(n), max(0, line_dedup.word_edits(n) + more)):
+                w[i] = rng.choice(["", "changed", "two words"])
+            lines.append(" ".join(x for x in w if x))
+    lines += ["tenletters", "tenletterz", "tenlettersz", "nineletts", "ninelettz", "a line of twenty three.", "a line of twenty-three.", "a line of twenty--three.", "a line of twenty three..z"]
+
+    def linked(a, b):
+        short = min(len(a), len(b))
+        chars = 2 if short >= line_dedup.MIN_CHARS else 1 if short >= 10 else 0
+        return distance(a, b) <= chars or distance(a.split(), b.split()) <= line_dedup.word_edits(max(len(a.split()), len(b.split())))
+
+    distinct = sorted(set(lines))
+    cls = components_of(distinct, [(a, b) for a, b in combinations(distinct, 2) if linked(a, b)])
+    assert [line_dedup.word_edits(n) for n in (7, 8, 18, 200)] == [0, 1, 2, 20]
+    seen, want = set(), {}
+    for i, x in enumerate(lines):
+        want[i] = "" if cls[x] in seen else x
+        seen.add(cls[x])
+    got = line_dedup.clean(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3))
+    assert {r.doc_id: r.text for r in got.collect()} == want
