@@ -373,3 +373,14 @@ def test_line_threshold_grows(spark):
         seen.add(cls[x])
     got = line_dedup.clean(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3))
     assert {r.doc_id: r.text for r in got.collect()} == want
+
+
+def test_repeated_rows_lose_their_lines(spark, tmp_path):
+    text = "a line that is repeated with its whole row\n\nand another one"
+    rows = [(5, text, "x"), (5, text, "y"), (5, text, "y"), (None, "only null ids have this", "x"), (None, "only null ids have this", "x"), (7, "one two", "x"), (8, "", "x"), (8, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = sorted((r.doc_id or 0, r.text) for r in line_dedup.clean(df).collect())
+    assert got == [(0, ""), (0, "only null ids have this"), (5, ""), (5, ""), (5, text), (7, "one two"), (8, ""), (8, "")]
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    found = line_dedup.op7_line_dedup(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.n_lines, r.n_removed) for r in found) == [(0, 1, 0), (0, 1, 1), (5, 3, 0), (5, 3, 2), (5, 3, 2), (7, 1, 0), (8, 1, 0), (8, 1, 0)]
