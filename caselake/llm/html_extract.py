@@ -4,7 +4,9 @@ A page is a sequence of tags and text nodes. Each word scores by the innermost e
 name; the weights are log-odds of lying in the article, learned from pages that mark it (`<article>`), and kept
 positive for words of plain blocks and negative for tags. One linear scan finds the run of the highest sum. Inside it,
 text of elements that are never main text (menus, headers, footers, sidebars, notices, adverts, forms, comments,
-scripts, styles), known by name, role, class or id, is left out.
+scripts, styles), known by name, role, class or id, is left out. Where such an element lies inside one that holds main
+text (article, main, or marked as an article's body), it weighs nothing, so it can't part the text around it; elsewhere
+its tags count as one kind, so that tags that menus use are not taken for signs of menus.
 
 Blocks are what block-level tags separate; character references are decoded, white space in a block becomes one
 space, `<br>` and cells are white space, empty blocks are dropped, blocks are joined by \\n.
@@ -48,43 +50,60 @@ _NAMED = re.compile(
     r"related|recommend\w*|comments?|replies|reply|respond|disqus|widgets?|toolbar|pagination|pager|skip\w*)(?![a-z])",
     re.I,
 )
+_CONTENT = re.compile(
+    r"(?:class|id|role|itemprop)\s*=\s*(?:\"[^\"]*|'[^']*|[^\s>]*?)(?<![\w-])(?:articlebody|(?:article|post|entry|story)(?:[-_]?(?:body|content|text))?)(?![\w-])", re.I
+)
+_ROWS = frozenset(f"t:{c}{n}" for n in "ul ol li dl dt dd table thead tbody tfoot tr td th caption".split() for c in ("", "/"))
 _DEFAULT = {"w:p": 1.0, "w:h": 1.0, "w:blockquote": 1.0, "w:pre": 1.0, "w:li": 0.4, "w:td": 0.4, "w:div": 0.5, "w:a": -0.6, "w:never": -1.0}
 
 
 def tokens(page: str) -> Iterator[tuple[str, str | int, bool, bool]]:
-    """(kind, text or number of words, left out, opens or closes a block), kind being t:name, t:/name or w:place."""
-    at, open_never, links, places = 0, [], 0, []
+    """(kind, text or number of words, left out, opens or closes a block), kind being t:name, t:/name or w:place;
+    tags left out are t:never, and w:inner and t:inner is what is left out inside an element of main text."""
+    at, open_never, content, links, places = 0, [], [], 0, []
 
     def words(text: str):
-        place = "never" if open_never else "a" if links else places[-1] if places else "body"
+        place = "inner" if open_never and content else "never" if open_never else "a" if links else places[-1] if places else "body"
         return "w:" + place, text, bool(open_never), False
 
+    def tag(name: str, left_out: bool) -> str:
+        return "t:" + (name if not left_out else "inner" if content else "never")
+
+    def close(stack: list[tuple[str, int]], name: str) -> None:
+        if any(n == name for n, _ in stack):
+            while stack:
+                n, depth = stack.pop()
+                if n == name:
+                    if depth:
+                        stack.append((n, depth - 1))
+                    break
+
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             yield words(page[at : m.start()])
         at = m.end()
         name = (m.group(3) or "").lower()
         if not name:
-            yield ("t:raw", "", True, False)
+            yield (tag("raw", bool(content)), "", True, False)
             continue
         if m.group(2):
             if name == "a":
                 links = max(0, links - 1)
-            if any(n == name for n, _ in open_never):
-                while open_never:
-                    n, depth = open_never.pop()
-                    if n == name:
-                        if depth:
-                            open_never.append((n, depth - 1))
-                        break
+            left_out = bool(open_never)
+            close(open_never, name)
+            kind = tag("/" + name, left_out)
+            if not left_out:
+                close(content, name)
             if name in places:
                 while places.pop() != name:
                     pass
-            yield ("t:/" + name, "", False, name in _BLOCK)
+            yield (kind, "", left_out, name in _BLOCK)
             continue
         if name in ("article", "main", "body"):
             open_never.clear()
             links = 0
+            if name == "body":
+                content.clear()
         closed = name in _VOID or m.group(4).rstrip().endswith("/")
         if not closed:
             if name == "a":
@@ -93,11 +112,16 @@ def tokens(page: str) -> Iterator[tuple[str, str | int, bool, bool]]:
                 open_never[-1] = (name, open_never[-1][1] + 1)
             elif name in _NEVER or name not in ("article", "main", "body", "html") and _NAMED.search(m.group(4)):
                 open_never.append((name, 0))
+            if not open_never:
+                if content and content[-1][0] == name:
+                    content[-1] = (name, content[-1][1] + 1)
+                elif name in ("article", "main") or name in ("div", "section") and _CONTENT.search(m.group(4)):
+                    content.append((name, 0))
             if name in _BLOCK or name in _SPACE:
                 if name == "p" and places and places[-1] == "p":
                     places.pop()
                 places.append("h" if re.fullmatch("h[1-6]", name) else name)
-        yield ("t:" + name, " " if name in _SPACE else "", bool(open_never), name in _BLOCK)
+        yield (tag(name, bool(open_never)), " " if name in _SPACE else "", bool(open_never), name in _BLOCK)
     if at < len(page):
         yield words(page[at:])
 
@@ -115,10 +139,12 @@ def blocks(found: list[tuple]) -> str:
 
 
 def weight(weights: dict[str, float], kind: str) -> float:
+    if kind in ("w:inner", "t:inner"):
+        return 0.0
     if kind in weights:
         return weights[kind]
     if kind[0] == "t":
-        return -0.5
+        return -0.1 if kind in _ROWS else -0.5
     return _DEFAULT.get(kind, 0.5)
 
 
@@ -147,6 +173,8 @@ def counts(page: str) -> Counter:
         if kind in ("t:article", "t:/article"):
             inside = kind == "t:article"
             continue
+        if kind in ("w:inner", "t:inner"):
+            continue
         seen[kind, inside] += len(text.split()) if kind[0] == "w" else 1
     return seen
 

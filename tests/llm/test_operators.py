@@ -384,3 +384,19 @@ def test_repeated_rows_lose_their_lines(spark, tmp_path):
     df.write.parquet(str(tmp_path / "documents.parquet"))
     found = line_dedup.op7_line_dedup(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id or 0, r.n_lines, r.n_removed) for r in found) == [(0, 1, 0), (0, 1, 1), (5, 3, 0), (5, 3, 2), (5, 3, 2), (7, 1, 0), (8, 1, 0), (8, 1, 0)]
+
+
+def test_html_keeps_the_article_whole(spark):
+    menu = "<nav><ul>" + "".join(f"<li><a href=x>Menu entry {i}</a></li>" for i in range(20)) + "</ul></nav>"
+    plain = "<html><body>" + menu + "<article><h1>Head</h1><p>" + "some plain words of text " * 12 + "</p></article><footer>foot note</footer></body></html>"
+    weights = html_extract.learn(spark.createDataFrame([(i, f"u{i}", plain) for i in range(30)], "page_id long, url string, html string"))
+    lead, rest = " ".join(["lead"] * 45), " ".join(["rest"] * 90)
+    form = "<form><input><select>" + "<option>one more choice</option>" * 40 + "</select></form>"
+    advert = "<div class=advert>" + "buy <b>now</b> " * 60 + "</div>"
+    for inner in (menu, menu * 3, "<aside><ul>" + "<li>a side remark of words</li>" * 30 + "</ul></aside>", form, advert):
+        page = f"<html><body>{menu}<article><h1>Head line</h1><p>{lead}</p>{inner}<p>{rest}</p></article>{menu}</body></html>"
+        assert html_extract.extract(page, weights) == f"Head line\n{lead}\n{rest}"
+        page = f"<html><body>{menu}<article><p>{rest}</p>{inner}<p>{lead}</p></article><footer>foot note</footer></body></html>"
+        assert html_extract.extract(page, weights) == f"{rest}\n{lead}"
+    page = f"<html><body>{menu}<article><p>{lead}</p><ul><li>first item</li><li>second</li></ul><table><tr><td>one</td><td>two</td></tr><tr><td>three</td><td>four</td></tr></table></article>{menu}<footer>foot note</footer></body></html>"
+    assert html_extract.extract(page, weights) == f"{lead}\nfirst item\nsecond\none two\nthree four"
