@@ -21,6 +21,10 @@ def powers(n: int, base: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+#: Powers for the first bytes of any text; longer ones make their own.
+UP, DOWN = powers(1 << 16, BASE), powers(1 << 16, INVERSE)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(29))
     h = h * np.uint64(0xBF58476D1CE4E5B9)
@@ -34,7 +38,7 @@ class Shingler:
     least one, has its whole word sequence as its one shingle; a null, empty or blank text has none."""
 
     def __init__(self, n: int):
-        self.n, self.up, self.down = n, powers(1 << 16, BASE), powers(1 << 16, INVERSE)
+        self.n, self.up, self.down = n, UP, DOWN
 
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
         """Sorted distinct hashes of each text, as int64."""

@@ -117,7 +117,7 @@ def test_packing(docs, empty):
         for s in range(0, len(ids), 4096):
             want[i, s, len(ids[s : s + 4096]), zlib.crc32(ids[s : s + 4096].tobytes()), len(ids)] += 1
     got = packing.pack(packing.pieces(docs), group=50).collect()
-    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == want
+    assert Counter((r.doc_id, r.start, r.length, zlib.crc32(r.ids), r.doc_tokens) for r in got) == want
     by = defaultdict(list)
     for r in got:
         by[r.sequence_id].append((r.offset, r.length))
@@ -259,7 +259,6 @@ def test_line_dedup(spark, empty):
     assert got.columns == df.columns
     assert {r.doc_id: r.text for r in got.collect()} == {i: want[i] if t is not None else None for i, t in rows} | {90: None if want[90] is None else got.where("doc_id = 90").first().text}
     assert line_dedup.clean(empty).count() == 0
-    assert [line_dedup.line_id(r.x) for r in df.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("x")).collect()] == [r.h for r in df.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("x")).select(F.xxhash64("x").alias("h")).collect()]
 
 
 def test_suffix_dedup(docs, empty):
@@ -400,3 +399,54 @@ def test_html_keeps_the_article_whole(spark):
         assert html_extract.extract(page, weights) == f"{rest}\n{lead}"
     page = f"<html><body>{menu}<article><p>{lead}</p><ul><li>first item</li><li>second</li></ul><table><tr><td>one</td><td>two</td></tr><tr><td>three</td><td>four</td></tr></table></article>{menu}<footer>foot note</footer></body></html>"
     assert html_extract.extract(page, weights) == f"{lead}\nfirst item\nsecond\none two\nthree four"
+
+
+def line_classes(lines):
+    def linked(a, b):
+        short = min(len(a), len(b))
+        chars = 2 if short >= line_dedup.MIN_CHARS else 1 if short >= 10 else 0
+        return distance(a, b) <= chars or distance(a.split(), b.split()) <= line_dedup.word_edits(max(len(a.split()), len(b.split())))
+
+    distinct = sorted(set(lines))
+    return components_of(distinct, [(a, b) for a, b in combinations(distinct, 2) if abs(len(a.split()) - len(b.split())) < 9 and linked(a, b)])
+
+
+def test_large_buckets_of_lines(spark, monkeypatch):
+    """Blocks of 6 lines and keys of 4 lines count as large, so each way round is taken."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 6)
+    monkeypatch.setattr(line_dedup, "HOT_KEY", 4)
+    rng = random.Random(5)
+    pool = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9))) for _ in range(500)]
+    base, passage, lines = [rng.choice(pool) for _ in range(30)], [rng.choice(pool) for _ in range(15)], []
+    for _ in range(25):
+        w = list(base)
+        for i in rng.sample(range(30), rng.randrange(0, 4)):
+            w[i] = rng.choice(pool)
+        lines.append(" ".join(w))
+    lines += [" ".join(passage + [rng.choice(pool) for _ in range(12)]) for _ in range(25)]
+    lines += ["a line of some " + rng.choice("abc") + rng.choice("abc") + "x" for _ in range(20)] + [f"another short one {i}" for i in range(15)]
+    cls, seen, want = line_classes(lines), set(), {}
+    for i, x in enumerate(lines):
+        want[i] = "" if cls[x] in seen else x
+        seen.add(cls[x])
+    got = line_dedup.clean(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3))
+    assert {r.doc_id: r.text for r in got.collect()} == want
+
+
+def test_hot_keys_are_dealt(monkeypatch):
+    """What a Dealer sends out: each record once, hot ones apart, with a sign in the key's own partition."""
+    dtype = np.dtype([("key", "<u8"), ("line", "<u8")])
+    rows = np.zeros(30_000, dtype)
+    rows["line"] = np.arange(30_000)
+    rows["key"] = np.where(np.arange(30_000) < 20_000, 7 << 60, np.random.default_rng(3).integers(0, 1 << 63, 30_000, dtype=np.uint64) * np.uint64(2))
+    dealer = common.Dealer(0, dtype, 5, 1, 2)
+    out = [*dealer.add(rows), *dealer.flush()]
+    got = defaultdict(list)
+    for b in out:
+        for part, kind, blob in zip(*(b.column(c).to_pylist() for c in ("part", "kind", "blob")), strict=True):
+            keys = np.frombuffer(blob, dtype if kind < 2 else dtype["key"])
+            got[kind] += keys["line"].tolist() if kind < 2 else keys.tolist()
+            if kind != 1:
+                for k in (keys["key"] if kind == 0 else keys).tolist():
+                    assert k * 5 >> 64 == part
+    assert sorted(got[0] + got[1]) == list(range(30_000)) and len(got[1]) >= 20_000 and got[2] == [7 << 60]
