@@ -1,36 +1,18 @@
 """A corpus pipeline of five operators; each stage reads what the one before it wrote.
 
-Every stage takes (spark, docs, sf_dir) and returns the columns of documents, the last one the packed pieces. Rows are
-dropped by the quality classifier (those it rejects) and by the n-gram join (all but the first of each group of near
-copies); the line and suffix stages shorten texts and keep all rows.
+Every stage takes (spark, docs, sf_dir) and returns the columns of documents, the last one the packed pieces with their
+ids. Rows are dropped by the quality classifier (those it rejects) and by the n-gram join (all but the first of each
+group of near copies); the line and suffix stages shorten texts and keep all rows. A stage removes the tables it makes
+on its way, but the small one that its result is joined with.
 """
 
 from __future__ import annotations
 
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselake.llm import line_dedup, ngram_join, packing, quality_crf, suffix_dedup
-from caselake.llm.common import remove, scratch, stage
-
-
-_MADE: list[str] = []
-
-
-def freeing(step):
-    """A stage that first removes the stage tables of the one before it: its documents are written out by then."""
-
-    @wraps(step)
-    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = docs.inputFiles() if _MADE else []
-        remove(spark, [p for p in _MADE if not any(p.rsplit("/", 1)[-1] in f for f in read)])
-        _MADE.clear()
-        with scratch(_MADE):
-            return step(spark, docs, sf_dir)
-
-    return run_step
+from caselake.llm.common import scratch, stage
 
 
 def recounted(docs: DataFrame) -> DataFrame:
@@ -38,34 +20,28 @@ def recounted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
-@freeing
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that score at or above the threshold."""
     model = quality_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_crf.accepted(docs, model)
 
 
-@freeing
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first of equal or nearly equal lines."""
     return recounted(line_dedup.clean(docs))
 
 
-@freeing
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group linked by five-word shingles at 0.8 or more. Documents
-    without words are no copies of each other and stay."""
-    found = ngram_join.jaccard_components(docs, words=5, percent=80).where("n > 0 and id <> component").select(F.col("id").alias("__copy")).distinct()
-    return docs.join(stage(found, "near-copies"), F.col("doc_id") == F.col("__copy"), "left_anti").dropDuplicates(["doc_id", "text"])
+    """Keeps one document of each group linked by five-word shingles at 0.8 or more, the one with the smallest id.
+    Documents without words are no copies of each other and stay."""
+    return ngram_join.firsts(docs, words=5, percent=80)
 
 
-@freeing
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out what lies in 200-byte strings that occur more than once, every occurrence, as the operator does."""
     return recounted(suffix_dedup.clean(docs))
 
 
-@freeing
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(stage(packing.pieces(docs), "pieces"))
 
@@ -81,10 +57,9 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stage(docs, name)
+    with scratch(spark):
+        for k, (name, step) in enumerate(STAGES):
+            docs = stage(step(spark, docs, sf_dir), name, keep=k == len(STAGES) - 1)
     return docs
 
 
