@@ -7,15 +7,17 @@
 3. The rest are shingled again whole. N-grams are ordered by how many of these documents hold them, rarest first; two
    linked documents share one of the first floor((1-t) n) + 1, and documents that share one fall into one bucket
    (connected components of that relation, stars around each n-gram's smallest id, so rows stay linear).
-4. A bucket, or each pair of blocks of BLOCK sets of a large one, goes to one task. There one block is a prefix tree of
-   sets in descending order of frequency; each set runs down the tree, sharing the partial overlaps of common
-   prefixes, and subtrees are cut by size and remaining-length bounds. A pair whose ends are connected already is not
-   verified; the links found span the components.
+4. A bucket goes to one task, which makes it a prefix tree of sets in descending order of frequency; each set runs
+   down the tree, sharing the partial overlaps of common prefixes, and subtrees are cut by size and remaining-length
+   bounds. A pair whose ends are connected already is not verified; the links found span the components. A bucket of
+   more than BLOCK sets or TOKENS n-grams is compared by the n-grams that make it one (common.links_by_key), each
+   n-gram's sets against one of them first, and then as trees of those that are not connected yet.
 5. Components of those links, over classes, give each document its component.
 
 Defined cases: a null, empty or blank text has no n-grams and is a component of its own; fewer than n words are one
-n-gram; ties break by the smaller id; rows that repeat an id share one component; rows with a null id are left out of
-links, their component is null unless their set's class has an id. Very long texts need memory in proportion to one
+n-gram; ties break by the smaller id; rows are told apart by their place, so rows that repeat an id with other texts
+each have the links of their own text; rows with a null id are linked like others, a component of nothing but such
+rows has the id null. Sets are equal when their 128-bit digests are. Very long texts need memory in proportion to one
 text. An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -29,10 +31,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, map_arrow, stage
+from .common import classes_within, components, links_by_key, map_arrow, placed, scratch, stage
 from .shingles import Shingler
 
-PART, BLOCK = 4, 2000
+PART, BLOCK, TOKENS = 4, 2000, 8_000_000
 
 
 class PrefixTree:
@@ -97,8 +99,9 @@ class PrefixTree:
                 work.append((child, shared))
 
 
-def spanning_links(ids: list[int], sets: list[np.ndarray], percent: int, left: list[bool] | None = None) -> list[tuple[int, int]]:
-    """Links that span the components of the sets' similarity graph; left: only links from a left to a right set."""
+def spanning_links(ids: list[int], sets: list[np.ndarray], percent: int, groups: list[int] | None = None, left: list[bool] | None = None) -> list[tuple[int, int]]:
+    """Links that span the components of the sets' similarity graph; groups: sets of one are connected already; left:
+    only links from a left to a right set."""
     flat = np.concatenate(sets)
     values, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
     rank = np.empty(len(values), np.int64)
@@ -106,7 +109,9 @@ def spanning_links(ids: list[int], sets: list[np.ndarray], percent: int, left: l
     cut = np.split(inverse, np.cumsum([len(s) for s in sets])[:-1])
     held = [np.sort(rank[c[count[c] > 1]]) for c in cut]
     sizes = [len(s) for s in sets]
-    parent = list(range(len(sets)))
+    parent, heads = list(range(len(sets))), {}
+    for i, g in enumerate(groups or ()):
+        parent[i] = heads.setdefault(g, i)
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -115,6 +120,8 @@ def spanning_links(ids: list[int], sets: list[np.ndarray], percent: int, left: l
         return i
 
     into = [i for i in range(len(sets)) if left is None or left[i]]
+    if not into:
+        return []
     tree = PrefixTree([held[i] for i in into], [sizes[i] for i in into], percent)
     out = []
     for x in range(len(sets)):
@@ -128,29 +135,42 @@ def spanning_links(ids: list[int], sets: list[np.ndarray], percent: int, left: l
     return out
 
 
-def sets_of(df: DataFrame, words: int) -> DataFrame:
-    """df(id, text) -> id, n, digest, part (the hashes that are 0 modulo PART)."""
+def star_links(ids: list[int], sets: list[np.ndarray], head: int, percent: int) -> list[tuple[int, int]]:
+    """Links of one set with the others."""
+    shared = (len(np.intersect1d(sets[head], s, assume_unique=True)) for s in sets)
+    return [(ids[head], ids[i]) for i, k in enumerate(shared) if i != head and 100 * k >= percent * (len(sets[head]) + len(sets[i]) - k)]
+
+
+def set_rows(sets: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+
+
+def digests(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string())
+
+
+def sets_of(docs: DataFrame, words: int) -> DataFrame:
+    """docs(file, place, id, t1, t2, text) -> the same with n, digest and part (the hashes that are 0 modulo PART) for text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(words)
         for b in batches:
-            sets = make.sets(b.column(1).to_pylist())
-            parts = [s[s % PART == 0] for s in sets]
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]), lists], ["id", "n", "digest", "part"])
+            sets = make.sets(b.column(5).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array([len(s) for s in sets], pa.int64()), digests(sets), set_rows([s[s % PART == 0] for s in sets])], ["file", "place", "id", "t1", "t2", "n", "digest", "part"])
 
-    return map_arrow(df, run, "id long, n long, digest string, part array<long>")
+    return map_arrow(docs, run, "file long, place long, id long, t1 long, t2 long, n long, digest string, part array<long>")
 
 
-def whole_sets(df: DataFrame, words: int) -> DataFrame:
+def whole_sets(texts: DataFrame, words: int) -> DataFrame:
+    """texts(text) -> digest, tokens."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(words)
         for b in batches:
-            sets = make.sets(b.column(1).to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets)))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["id", "tokens"])
+            sets = make.sets(b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([digests(sets), set_rows(sets)], ["digest", "tokens"])
 
-    return map_arrow(df, run, "id long, tokens array<long>")
+    return map_arrow(texts, run, "digest string, tokens array<long>")
 
 
 def shared_tokens(rows: DataFrame, name: str) -> DataFrame:
@@ -159,7 +179,7 @@ def shared_tokens(rows: DataFrame, name: str) -> DataFrame:
 
 
 def candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """ids of the documents that step 2 leaves."""
+    """ids of the sets that step 2 leaves."""
     rows = reps.select("id", F.explode("part").alias("token"))
     shared = shared_tokens(rows, "shared-part")
     held = rows.join(shared.hint("merge"), "token").groupBy("id").agg(F.count("*").alias("held"))
@@ -167,54 +187,90 @@ def candidates(reps: DataFrame, percent: int) -> DataFrame:
     return reps.join(held, "id", "left").where(missed * 100 <= F.col("n") * (100 - percent)).select("id")
 
 
-def buckets(sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """sets(id, tokens) -> id, component: documents that may be linked directly or over others share a bucket."""
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """sets(id, tokens) -> id, key: of each set its rarest n-grams, so many that linked sets share one."""
     rows = sets.select("id", F.explode("tokens").alias("token"))
     shared = shared_tokens(rows, "shared-tokens")
     held = rows.join(shared.hint("merge"), "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
     n = F.size("tokens")
     first = F.floor(n * (100 - percent) / 100).cast("int") + 1 - (n - F.size("held"))
-    prefix = stage(sets.join(held, "id").where(first > 0).select("id", F.explode(F.slice("held", 1, first)).alias("t")).select("id", "t.token"), "prefix")
-    least = stage(prefix.groupBy("token").agg(F.min("id").alias("least"), F.count("*").alias("k")).where("k > 1"), "least")
-    return components(prefix.join(least.hint("merge"), "token").select(F.col("id").alias("a"), F.col("least").alias("b")), name)
+    return stage(sets.join(held, "id").where(first > 0).select("id", F.explode(F.slice("held", 1, first)).alias("t")).select("id", F.col("t.token").alias("key")), "prefix")
 
 
-def links(sets: DataFrame, dealt: DataFrame, percent: int) -> DataFrame:
-    """Spanning links (a, b) inside the buckets."""
-    sizes = dealt.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = (sets.join(dealt, "id").join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", other)
-            .select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "tokens"))
+def buckets(prefix: DataFrame) -> DataFrame:
+    """id, component: sets that may be linked directly or over others share a bucket."""
+    least = stage(prefix.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("k")).where("k > 1"), "least")
+    return components(prefix.join(least.hint("merge"), "key").select(F.col("id").alias("a"), F.col("least").alias("b")), "buckets")
 
-    def run(t: pa.Table) -> pa.Table:
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        tokens = t.column("tokens").combine_chunks()
-        flat, at = tokens.values.to_numpy(), tokens.offsets.to_numpy()
-        sets = [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-        order = np.argsort(t.column("id").to_numpy(), kind="stable").tolist()
-        ids, own = t.column("id").to_pylist(), t.column("own").to_pylist()
-        found = spanning_links([ids[k] for k in order], [sets[k] for k in order], percent, None if i == j else [own[k] == i for k in order])
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return rows.groupBy("component", "i", "j").applyInArrow(run, "a long, b long")
+def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
+    """sets(id, tokens) -> id, component of the sets that have links."""
+    prefix = prefixes(sets, percent)
+    dealt = buckets(prefix)
+    rows = stage(sets.join(dealt.hint("merge"), "id"), "bucket-sets")
+    large = stage(rows.groupBy("component").agg(F.count("*").alias("k"), F.sum(F.size("tokens").cast("long")).alias("n")).where((F.col("k") > BLOCK) | (F.col("n") > TOKENS) & (F.col("k") > 2)).select("component"), "large-buckets")
+
+    def unpack(t: pa.Table) -> tuple[list[int], list[np.ndarray]]:
+        tokens = t.column("tokens").combine_chunks()
+        return t.column("id").to_pylist(), [x.values.to_numpy() for x in tokens] if len(tokens) < 2 else np.split(tokens.flatten().to_numpy(), np.cumsum(tokens.value_lengths().to_numpy())[:-1])
+
+    def link(t: pa.Table, groups: list[int] | None, left: list[bool] | None) -> list[tuple[int, int]]:
+        return spanning_links(*unpack(t), percent, groups, left)
+
+    def star(t: pa.Table, head: int) -> list[tuple[int, int]]:
+        return star_links(*unpack(t), head, percent)
+
+    found = classes_within(rows.join(large.hint("merge"), "component", "left_anti"), link)
+    over = stage(rows.join(large.hint("merge"), "component", "left_semi").select("id", "tokens"), "large-sets")
+    if not over.isEmpty():
+        near = links_by_key(prefix.join(over.select("id").hint("merge"), "id", "left_semi"), over, star, link, BLOCK, "sets")
+        found = found.union(components(near, "linked"))
+    return stage(found, "linked-sets")
+
+
+def grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """docs(file, place, id, text) -> file, place, id, n, class_id, component, group: one row each. group numbers the
+    component, class_id and component are the smallest ids of its class of equal sets and of it; rows without words have
+    their own id and no group."""
+    with scratch(docs.sparkSession):
+        text = F.coalesce("text", F.lit(""))
+        docs = docs.select("file", "place", "id", F.xxhash64(text).alias("t1"), F.crc32(text.cast("binary")).alias("t2"), "text")
+        made = stage(sets_of(docs, words), "shingles")
+        kinds = made.where("n > 0").groupBy("digest").agg(F.min("id").alias("class_id"), F.min(F.struct("t1", "t2")).alias("t"), F.first("n").alias("n"), F.first("part").alias("part"))
+        reps = stage(kinds.withColumn("id", F.monotonically_increasing_id()), "reps")
+        wanted = stage(reps.join(candidates(reps, percent).hint("merge"), "id", "left_semi").select("id", "digest", "t.t1", "t.t2"), "wanted")
+        texts = docs.join(wanted.select("t1", "t2").hint("shuffle_hash"), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"]).select("text")
+        sets = stage(whole_sets(texts, words).join(wanted.select("id", "digest").hint("merge"), "digest").select("id", "tokens"), "sets")
+        found = linked_sets(sets, percent)
+        known = stage(reps.select("id", "digest", "class_id").join(found.hint("merge"), "id", "left").select("digest", "class_id", F.coalesce("component", "id").alias("group")), "groups")
+        least = known.groupBy("group").agg(F.min("class_id").alias("component"))
+        known = stage(known.join(least.hint("merge"), "group"), "known")
+        joined = made.select("file", "place", "id", "n", "digest").join(known.hint("merge"), "digest", "left")
+        own = F.col("n") == 0
+        return stage(joined.select("file", "place", "id", "n", F.when(own, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, F.col("id")).otherwise(F.col("component")).alias("component"), "group"), "jaccard-groups", keep=True)
+
+
+def rows_of(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    rows = placed(df)
+    return rows, rows.select(F.col("__file").alias("file"), F.col("__place").alias("place"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """id, n (set size), class_id (smallest id with an equal set), component, one per row."""
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    made = stage(sets_of(docs, words), "shingles")
-    classes = stage(made.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("class_id")), "classes")
-    reps = made.join(classes.withColumnRenamed("class_id", "id").hint("merge"), ["digest", "id"]).dropDuplicates(["id"])
-    left = stage(candidates(stage(reps, "reps"), percent), "candidates")
-    sets = stage(whole_sets(docs.join(left.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), words), "sets")
-    dealt = buckets(sets, percent, "buckets")
-    found = components(stage(links(sets, dealt, percent), "links"), "linked")
-    known = stage(classes.join(found.withColumnRenamed("id", "class_id"), "class_id", "left").select("digest", "class_id", F.coalesce("component", "class_id").alias("component")), "known")
-    joined = made.drop("part").join(known.hint("merge"), "digest", "left")
-    own = F.col("n") == 0
-    return joined.select("id", "n", F.when(own, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, F.col("id")).otherwise(F.col("component")).alias("component"))
+    return grouped(rows_of(df, id_col, text_col)[1], words, percent).select("id", "n", "class_id", "component")
+
+
+def firsts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """df's rows but those that have an earlier one in their component: smaller id, then place; null ids come last."""
+    with scratch(df.sparkSession):
+        rows, docs = rows_of(df, id_col, text_col)
+        found = grouped(docs, words, percent).where("group is not null")
+        heads = found.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "file", "place")).alias("head"), F.count("*").alias("k")).where("k > 1").drop("k")
+        gone = found.join(heads.hint("merge"), "group").where("file <> head.file or place <> head.place")
+        gone = stage(gone.select(F.col("file").alias("__f"), F.col("place").alias("__p")), "near-copies", keep=True)
+    return rows.join(gone.hint("shuffle_hash"), (F.col("__file") == F.col("__f")) & (F.col("__place") == F.col("__p")), "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4, percent=85)
+    out = jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), words=4, percent=85)
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

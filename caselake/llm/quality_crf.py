@@ -7,8 +7,8 @@ labelled documents (TRAIN_DOCS, the sample's hash order does not depend on table
 forward-backward on every line of every document and averages the marginals, weighted by line length.
 
 Defined cases: a null or empty text is one empty line and gets the score of the learned bias. Lines are separated by
-\\n. A document of any length is scored whole, CHAIN lines at a time with CHAIN // 8 lines of context on both sides.
-Rows that repeat an id are scored alike. Without any label both classes' weights stay zero and each score is 0.5.
+\\n. A document of any length is scored whole, as one chain. Rows that repeat an id are each scored by their text; in
+training the smallest text of an id counts. Without any label both classes' weights stay zero and each score is 0.5.
 Other columns of the input are ignored.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow
 
-TRAIN_DOCS, THRESHOLD, CHAIN = 2000, 0.3, 2048
+TRAIN_DOCS, THRESHOLD = 2000, 0.3
 _KINDS = [bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58)), b"#$%&*+<=>@^_`~\\/{}[]", b"!?", b"|\t", b".,;:", b" ", bytes(range(128, 256))]
 SIZE = 3 * (len(_KINDS) + 6) + 4
 
@@ -94,21 +94,28 @@ class LineCrf:
         """Every line takes its document's label; each class weighs as much as the other; Adam on all chains."""
         if not chains:
             return self
-        lines = max(map(len, chains))
-        x, size, y = np.zeros((len(chains), lines, SIZE), np.float32), np.array([len(c) for c in chains]), np.array(labels, float)
-        for i, c in enumerate(chains):
-            x[i, : len(c)] = c
-        inside = np.arange(lines)[None, :] < size[:, None]
-        weigh = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)) / size
+        y = np.array(labels, float)
+        weigh = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)) / [len(c) for c in chains]
+        parts, groups = [], {}
+        for i, c in enumerate(chains):  # chains of like length side by side
+            groups.setdefault(len(c).bit_length(), []).append(i)
+        for members in groups.values():
+            size = np.array([len(chains[i]) for i in members])
+            x = np.zeros((len(members), size.max(), SIZE), np.float32)
+            for k, i in enumerate(members):
+                x[k, : size[k]] = chains[i]
+            own, inside = y[members], np.arange(size.max())[None, :] < size[:, None]
+            seen = np.array([[((1 - own) * (size - 1)).sum(), 0], [0, (own * (size - 1)).sum()]])
+            parts.append((x.reshape(-1, SIZE), size, own[:, None], np.where(inside, weigh[members][:, None], 0), seen))
+        steps_in = max(1, sum((p[1] - 1).sum() for p in parts))
         theta, m, v = np.zeros(SIZE + 4), np.zeros(SIZE + 4), np.zeros(SIZE + 4)
-        flat = x.reshape(-1, SIZE)
         for k in range(1, steps + 1):
-            emit = (flat @ theta[:SIZE].astype(np.float32)).reshape(len(chains), lines).astype(float)
-            move = theta[SIZE:].reshape(2, 2)
-            good, pairs, _ = forward_backward(emit, move, size)
-            miss = np.where(inside, y[:, None] - good, 0) * weigh[:, None]
-            seen = np.array([[((1 - y) * (size - 1)).sum(), 0], [0, (y * (size - 1)).sum()]])
-            grad = np.concatenate([miss.reshape(-1) @ flat / len(chains), ((seen - pairs) / max(1, (size - 1).sum())).reshape(-1)]) - penalty * theta
+            grad, move = -penalty * theta, theta[SIZE:].reshape(2, 2)
+            for flat, size, own, weight, seen in parts:
+                emit = (flat @ theta[:SIZE].astype(np.float32)).reshape(len(size), -1).astype(float)
+                good, pairs, _ = forward_backward(emit, move, size)
+                miss = (own - good) * weight
+                grad = grad + np.concatenate([miss.reshape(-1) @ flat / len(chains), ((seen - pairs) / steps_in).reshape(-1)])
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             theta = theta + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
             theta[SIZE:] = np.clip(theta[SIZE:], -2, 2)
@@ -116,13 +123,8 @@ class LineCrf:
         return self
 
     def marginals(self, features: np.ndarray) -> np.ndarray:
-        """Of one document's lines, CHAIN at a time with context."""
-        emit, out, side = features @ self.weights, np.zeros(len(features)), CHAIN // 8
-        for at in range(0, len(features), CHAIN):
-            low, high = max(0, at - side), min(len(features), at + CHAIN + side)
-            good, _, _ = forward_backward(emit[None, low:high], self.move, np.array([high - low]))
-            out[at : at + CHAIN] = good[0, at - low : at - low + CHAIN]
-        return out
+        """Of one document's lines."""
+        return forward_backward((features @ self.weights)[None], self.move, np.array([len(features)]))[0][0]
 
     def scores(self, texts: list[str | None]) -> list[float]:
         """Length-weighted mean of the marginals; documents of like numbers of lines run side by side."""
@@ -154,16 +156,16 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> LineCrf:
     """Fits on at most `bound` labelled documents that are not held out, the first by hash of their id. Only those
-    rows' features of at most 48 lines each come to the driver."""
+    rows' features come to the driver, one text an id."""
     known = labels.where("quality in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [chain_features(line_features((t or "").split("\n")))[:48] for t in b.column(0).to_pylist()]
+            made = [chain_features(line_features((t or "").split("\n"))) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes() for x in made], pa.binary()), b.column(1), b.column(2)], ["f", "quality", "doc_id"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("text", "quality", "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("text", "quality", "doc_id")
     got = map_arrow(rows, run, "f binary, quality int, doc_id long").toArrow().to_pylist()
     got.sort(key=lambda r: (r["doc_id"], r["f"]))
     return LineCrf().fit([np.frombuffer(r["f"], np.float32).reshape(-1, SIZE) for r in got], [r["quality"] for r in got])

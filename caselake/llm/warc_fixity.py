@@ -7,8 +7,9 @@ most RANGE records or FAN children, so no group grows with the data. Two replica
 children of mismatching nodes are joined on the next level, down to the records, which are told missing, extra or
 corrupt. Levels are kept as staged tables of digests.
 
-Defined cases: null url and html are empty; a record with a null id is left out of no archive, its id counts as -1;
-rows that repeat an id give records at different offsets, in order of their digests; empty tables give empty audits;
+Records are matched by archive and offset. Defined cases: null url and html are empty; a record with a null id is
+left out of no archive, its id counts as -1; rows that repeat an id give records at
+different offsets, in order of their digests; empty tables give empty audits;
 an archive that one replica lacks is reported by its root and all its records. Other columns are ignored.
 """
 
@@ -17,9 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import scratch, stage
 
-ARCHIVE, RANGE, FAN, LEVELS = 500, 65536, 16, 3
+ARCHIVE, RANGE, FAN, LEVELS, SLOTS = 500, 65536, 16, 3, 4096
 
 
 def warc_record(url: Column, body: Column) -> Column:
@@ -28,13 +29,21 @@ def warc_record(url: Column, body: Column) -> Column:
     return F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"))
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", per_archive: int = ARCHIVE) -> DataFrame:
-    """archive, offset, length, record_id, leaf: pages laid out in archives of `per_archive` consecutive ids."""
+def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", per_archive: int = ARCHIVE, also: tuple[str, ...] = ()) -> DataFrame:
+    """archive, offset, length, record_id, leaf and the columns `also`: pages laid out in archives of `per_archive`
+    consecutive ids. Those without an id are archive -1, which may be large: its records lie by hash, and each hash's
+    place is the sum of what the hashes before it hold."""
     rid = F.coalesce(F.col(id_col).cast("long"), F.lit(-1))
-    made = pages.select(rid.alias("record_id"), warc_record(F.col(url_col), F.col(body_col)).alias("r"))
-    made = made.select(F.floor(F.col("record_id") / per_archive).cast("long").alias("archive"), "record_id", F.octet_length("r").cast("long").alias("length"), F.sha2(F.encode("r", "UTF-8"), 256).alias("leaf"))
-    before = Window.partitionBy("archive").orderBy("record_id", "leaf").rowsBetween(Window.unboundedPreceding, -1)
-    return made.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    made = pages.select(rid.alias("record_id"), F.col(id_col).isNull().alias("none"), warc_record(F.col(url_col), F.col(body_col)).alias("r"), *also)
+    made = made.select("record_id", "none", F.octet_length("r").cast("long").alias("length"), F.sha2(F.encode("r", "UTF-8"), 256).alias("leaf"), *also)
+    made = made.withColumn("archive", F.floor(F.col("record_id") / per_archive).cast("long"))
+    made = made.withColumn("slot", F.when(F.col("none"), F.pmod(F.xxhash64("leaf"), F.lit(SLOTS))).otherwise(F.lit(-1)))
+    before = Window.partitionBy("archive", "slot").orderBy("record_id", "leaf").rowsBetween(Window.unboundedPreceding, -1)
+    made = made.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    held = made.where("none").groupBy("archive", "slot").agg(F.sum("length").alias("held"))  # SLOTS rows at most
+    base = held.select("archive", "slot", F.coalesce(F.sum("held").over(Window.partitionBy("archive").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    placed = made.join(base.hint("merge"), ["archive", "slot"], "left")
+    return placed.select("archive", (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset"), "length", "record_id", "leaf", *also)
 
 
 def tree(leaves: DataFrame, size: int = RANGE, fan: int = FAN, levels: int = LEVELS) -> list[DataFrame]:
@@ -75,20 +84,18 @@ def audit(good: DataFrame, other: DataFrame, size: int = RANGE, fan: int = FAN,
     return roots.select("archive", F.lit("root").alias("kind"), status.alias("status"), none.alias("offset"), none.alias("length"), none.alias("record_id"), "digest_a", "digest_b").unionByName(faults)
 
 
-def damaged(pages: DataFrame) -> DataFrame:
-    """What a replica with faults would hold: every 97th page has its letters e turned round, every 211th is gone."""
-    k = F.coalesce(F.col("page_id"), F.lit(0))
-    return pages.where(k % 211 != 5).withColumn("html", F.when(k % 97 == 13, F.translate("html", "e", "E")).otherwise(F.col("html")))
-
-
 def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits a simulated replica of all pages: its records keep the offsets of the original, lost ones leave a gap."""
+    """Audits a simulated replica of all pages, in which every 97th has its letters e turned round and every 211th is
+    gone: its records keep the offsets of the original, lost ones leave a gap."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    good = stage(records(pages), "replica-a")
-    place = good.select("archive", "offset", F.col("record_id").alias("page_id"))
-    held = damaged(pages).select("page_id", F.octet_length(warc_record(F.col("url"), F.col("html"))).cast("long").alias("length"), F.sha2(F.encode(warc_record(F.col("url"), F.col("html")), "UTF-8"), 256).alias("leaf"))
-    other = stage(place.join(held, "page_id").select("archive", "offset", "length", F.col("page_id").alias("record_id"), "leaf"), "replica-b")
-    return audit(good, other)
+    k = F.coalesce(F.col("page_id"), F.lit(0))
+    other = warc_record(F.col("url"), F.when(k % 97 == 13, F.translate("html", "e", "E")).otherwise(F.col("html")))
+    pages = pages.select("*", (k % 211 != 5).alias("held"), F.octet_length(other).cast("long").alias("other_length"), F.sha2(F.encode(other, "UTF-8"), 256).alias("other_leaf"))
+    with scratch(spark):
+        both = stage(records(pages, also=("held", "other_length", "other_leaf")), "replicas")
+        good = both.select("archive", "offset", "length", "record_id", "leaf")
+        replica = both.where("held").select("archive", "offset", F.col("other_length").alias("length"), "record_id", F.col("other_leaf").alias("leaf"))
+        return stage(audit(good, replica), "fixity", keep=True)
 
 
 ORACLE = f"""

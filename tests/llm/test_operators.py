@@ -450,3 +450,39 @@ def test_hot_keys_are_dealt(monkeypatch):
                 for k in (keys["key"] if kind == 0 else keys).tolist():
                     assert k * 5 >> 64 == part
     assert sorted(got[0] + got[1]) == list(range(30_000)) and len(got[1]) >= 20_000 and got[2] == [7 << 60]
+
+
+def test_fixity_of_null_and_repeated_ids(spark, tmp_path):
+    """Every record of the replica meets its own, whatever the ids: only the pages that the simulation damages are told."""
+    rows = [(None, f"u{i}", f"seen body {i}") for i in range(6)] + [(7, "a", "one"), (7, "b", "other"), (7, "a", "one"), (13, "x", "eee"), (5, "gone", "body"), (13, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    got = warc_fixity.op2_warc_fixity(spark, str(tmp_path)).collect()
+    assert sorted((r.record_id, r.status) for r in got if r.kind == "record") == [(5, "missing"), (13, "corrupt")]
+    assert {r.archive: r.status for r in got if r.kind == "root"} == {-1: "intact", 0: "differs"}
+
+
+def test_links_of_repeated_ids(spark):
+    """Rows of one id with different texts each keep the links of their text."""
+    a, b = prose(60), prose(60)
+    near_a, near_b = a + " more", b + " more"
+    for rows in ([(3, a), (3, b), (7, near_b), (8, near_a)], [(3, b), (3, a), (8, near_a), (7, near_b)]):
+        got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words=4, percent=85)
+        assert {(r.id, r.component) for r in got.collect()} == {(3, 3), (7, 3), (8, 3)}
+    rows = [(None, a), (None, near_a), (None, b), (5, b), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.jaccard_components(df, words=4, percent=85).collect()
+    assert sorted((r.id or 0, r.n, r.component or 0) for r in got) == [(0, 57, 0), (0, 57, 5), (0, 58, 0), (5, 57, 5), (6, 0, 6)]
+    left = ngram_join.firsts(df).collect()
+    assert len(left) == 3 and {(r.doc_id, r.text) for r in left} >= {(5, b), (6, "")}
+
+
+def test_crf_scores_whole_chains(spark):
+    """Each line of a long document counts, against one pass over the whole chain by hand."""
+    rng = np.random.default_rng(4)
+    model = quality_crf.LineCrf(rng.normal(size=quality_crf.SIZE), rng.normal(size=(2, 2)))
+    text = "\n".join(prose(RNG.randrange(1, 5)) for _ in range(5000))
+    lines = text.split("\n")
+    emit = quality_crf.chain_features(quality_crf.line_features(lines)) @ model.weights
+    good, _, _ = quality_crf.forward_backward(emit[None], model.move, np.array([len(lines)]))
+    weigh = np.array([len(x) + 1 for x in lines])
+    assert np.isclose(model.scores(["one", text])[1], (good[0] * weigh).sum() / weigh.sum())
