@@ -6,8 +6,9 @@ number of copies is one row a task before the shuffle), anti-joined with the ind
 index bucket by bucket without a shuffle, and what is new is appended. Everything is DataFrame functions.
 
 Defined cases: a null text counts as the empty text; white-space runs [ \\t-\\r] count as one space; a text of white
-space only is one space and differs from the empty text. A row with a null id takes part in its group but never is the
-one kept. Rows that repeat an id and its text all count in group_size and share the decision. An empty batch leaves
+space only is one space and differs from the empty text. A row with a null id takes part in its group, and is
+the one kept only where no row of the text has an id. Of rows that repeat an id and its text all count in group_size and
+one is kept. An empty batch leaves
 the index as it is. Other columns of the input are ignored, whatever their names.
 """
 
@@ -18,7 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, stage
+from .common import remove, scratch, shared_folder, stage
 
 
 def normalised(text: Column) -> Column:
@@ -59,34 +60,43 @@ class DigestIndex:
 
 
 def digests_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("id"), digest(F.col(text_col)).alias("digest"))
+    """id, digest and a number that no other row has, fixed once the result is staged."""
+    return df.select(F.col(id_col).cast("long").alias("id"), digest(F.col(text_col)).alias("digest"), F.monotonically_increasing_id().alias("number"))
 
 
 def decisions(digests: DataFrame, index: DigestIndex) -> DataFrame:
-    """digests(id, digest) of rows that were added before -> id, keep_id, group_size, kept, digest, one per row.
+    """digests(id, digest, number) of rows that were added before -> id, keep_id, group_size, kept, digest, one per row.
 
     group_size counts the rows of `digests`. Rows meet their group in a join whose both sides are shuffled by digest,
     so that Spark splits the partition of a hot text.
     """
-    groups = digests.groupBy("digest").agg(F.count("*").alias("group_size"))
-    known = stage(groups.join(index.rows().select("digest", "keep_id").hint("merge"), "digest"), "digest-groups")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "number")).alias("first")
+    groups = digests.groupBy("digest").agg(F.count("*").alias("group_size"), first)
+    known = stage(groups.join(index.rows().select("digest", "keep_id").hint("merge"), "digest"), "digest-groups", keep=True)
     joined = digests.join(known.hint("merge"), "digest")
-    return joined.select("id", "keep_id", "group_size", F.coalesce(F.col("id") == F.col("keep_id"), F.lit(False)).alias("kept"), "digest")
+    kept = (F.col("number") == F.col("first.number")) & F.col("first.id").eqNullSafe(F.col("keep_id"))
+    return joined.select("id", "keep_id", "group_size", kept.alias("kept"), "digest")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None, batches: int = 2) -> DataFrame:
-    """Adds df to the index in `batches` ranges of rising id, and returns the decisions on all its rows."""
-    spark = df.sparkSession
-    digests = stage(digests_of(df, id_col, text_col), "digests")
-    index = index or DigestIndex(spark, f"{shared_folder(spark)}/digest-index-{uuid.uuid4().hex}")
-    low, high = digests.agg(F.min("id"), F.max("id")).first()
-    low, high = low or 0, high if high is not None else 0
-    step = (high - low) // batches + 1
-    for k in range(batches):
-        part = digests.where((F.col("id") >= low + k * step) & (F.col("id") < low + (k + 1) * step))
-        index.add(part)
-    index.add(digests.where("id is null"))
-    return decisions(digests, index)
+    """Adds df to the index in `batches` ranges of rising id, and returns the decisions on all its rows. Without an
+    index one is made for the call and removed with it."""
+    spark, given = df.sparkSession, index is not None
+    with scratch(spark):
+        digests = stage(digests_of(df, id_col, text_col), "digests", keep=True)
+        index = index or DigestIndex(spark, f"{shared_folder(spark)}/digest-index-{uuid.uuid4().hex}")
+        low, high = digests.agg(F.min("id"), F.max("id")).first()
+        low, high = low or 0, high if high is not None else 0
+        step = (high - low) // batches + 1
+        for k in range(batches):
+            part = digests.where((F.col("id") >= low + k * step) & (F.col("id") < low + (k + 1) * step))
+            index.add(part)
+        index.add(digests.where("id is null"))
+        out = decisions(digests, index)
+    if not given:
+        index.drop()
+        remove(spark, [index.path])
+    return out
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
