@@ -529,3 +529,43 @@ def test_slabs_of_a_long_text(spark, monkeypatch):
         gram = lambda x: np.repeat(x["first"] + x["at"], x["span"])
         assert (gram(a) == gram(b)).all()
     assert want[3] == rows[2][1]
+
+
+def test_best_run_is_the_maximum():
+    rng = random.Random(8)
+    for _ in range(300):
+        w = [rng.choice([-3, -1, -0.5, 0, 0.5, 1, 2]) for _ in range(rng.randrange(0, 25))]
+        a, b = html_extract.best_run(w)
+        best = max((sum(w[i:j]) for i in range(len(w) + 1) for j in range(i, len(w) + 1)), default=0)
+        assert np.isclose(sum(w[a:b]), max(0, best))
+
+
+PLAIN_PAGE = ("<html><head><title>The title of it</title></head><body><nav><ul>" + "".join(f"<li><a href=x>Menu entry {i}</a></li>" for i in range(6))
+              + "</ul></nav><div class=\"ad\">Buy this or that now</div><article><h1>Head</h1><p>" + "some plain words of text " * 12 + "</p></article><footer>foot note</footer></body></html>")
+
+
+def test_html_keeps_what_names_only_hint_at(spark):
+    """Names lower a score and decide nothing: text of the article stays under them, and the scan alone finds the run."""
+    weights = html_extract.learn(spark.createDataFrame([(i, f"u{i}", PLAIN_PAGE) for i in range(30)], "page_id long, url string, html string"))
+    lead, rest = " ".join(["lead"] * 20), " ".join(["rest"] * 30)
+    for odd in ('<section class="search-engines-history"><p>{}</p></section>', '<div id="form"><p>{}</p></div>', '<p><span class="header-note">{}</span></p>', "<ul><li>{}</li></ul>", "<table><tr><td>{}</td></tr></table>", "<hr>" * 30 + "<p>{}</p>"):
+        page = f"<html><body><nav><a href=x>menu</a></nav><article><p>{lead}</p>{odd.format('odd text here')}<p>{rest}</p>{odd.format('and at the end')}</article><footer>foot</footer></body></html>"
+        assert html_extract.extract(page, weights) == f"{lead}\nodd text here\n{rest}\nand at the end"
+    page = f"<body><article><p>{lead}</p></article><div class=ad>buy</div><article><p>{rest}</p></article><div id=comments><p>nice post thanks</p></div></body>"
+    assert html_extract.extract(page, weights) == f"{lead}\n{rest}"
+    page = f"<body><div><a href=1>home</a> <a href=2>news</a></div><div><h1>Head</h1><p>{lead}</p><div class=advert><p>buy now</p></div><p>{rest}</p></div><div><a href=3>about us</a></div></body>"
+    assert html_extract.extract(page, weights) == f"Head\n{lead}\n{rest}"
+    parsed = html_extract.parse(PLAIN_PAGE)
+    first, last = html_extract.best_run(html_extract.held_together(parsed, html_extract.scores(parsed, weights), html_extract.insertions(parsed)))
+    outside = " ".join(t for k, t, _, _ in parsed.tokens[:first] + parsed.tokens[last:] if k[0] == "w")
+    assert "title" in outside and "Menu" in outside and "foot" in outside and "Buy" in outside  # without the scan these would stay
+
+
+def test_html_query(spark, tmp_path):
+    rows = [(i, f"u{i}", PLAIN_PAGE.replace("Head", f"Head {i} &amp; more")) for i in range(40)] + [(40, "u", None), (None, None, "<p>only this"), (3, "again", PLAIN_PAGE)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = html_extract.op10_html_extract(spark, str(tmp_path)).collect()
+    body = " ".join(["some plain words of text"] * 12)
+    want = [(i, f"u{i}", f"Head {i} & more\n{body}") for i in range(40)] + [(40, "u", ""), (-1, "", "only this"), (3, "again", f"Head\n{body}")]
+    assert sorted((-1 if r.page_id is None else r.page_id, r.url or "", r.text) for r in got) == sorted(want)
+    assert all(r.n_chars == len(r.text) for r in got)
