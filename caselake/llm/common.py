@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 _OWN_FOLDER: list[str] = []
 _SCRATCH: ContextVar[tuple[list[str], list[str]] | None] = ContextVar("scratch", default=None)
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-PART_BYTES, FLUSH_BYTES = 64 << 20, 64 << 20
+PART_BYTES, FLUSH_BYTES, ARROW_ROWS = 32 << 20, 16 << 20, 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,7 +80,11 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 256) -> DataFrame:
-    """mapInArrow whose batches hold at most `rows` rows, so that long texts stay within a worker's memory."""
+    """mapInArrow whose batches hold at most `rows` rows, so that long texts stay within a worker's memory; the session's
+    batches, unless they are set otherwise, are bounded for the same reason."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
     def run(batches):
         for batch in batches:
@@ -149,8 +153,8 @@ class Dealer:
                     self.turn = (self.turn + 1) % self.parts
                     out.append((self.turn, self.hot, spare[at : at + most]))
         out += self._cut(self.kind, rows)
-        for at in range(0, len(out), 64):
-            some = out[at : at + 64]
+        for at in range(0, len(out), 16):
+            some = out[at : at + 16]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([p for p, _, _ in some], pa.int32()), pa.array([k for _, k, _ in some], pa.int32()), pa.array([r.tobytes() for _, _, r in some], pa.binary())], ["part", "kind", "blob"]
             )

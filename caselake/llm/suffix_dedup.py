@@ -91,7 +91,7 @@ class Grams:
         end = first + span - 1 + WIDTH
         digest = mix((sums[end] - sums[first]) * self.down[first] + span.astype(np.uint64))
         at = least[first]
-        return gram[at].view(np.int64), digest.view(np.int64), first.astype(np.int32), span.astype(np.int32), (at - first).astype(np.int32)
+        return mix(gram[at]).view(np.int64), digest.view(np.int64), first.astype(np.int32), span.astype(np.int32), (at - first).astype(np.int32)
 
     @staticmethod
     def _least(gram: np.ndarray, w: int) -> np.ndarray:
