@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
-PREVIEW_CHARS = 1200
-HEAD_SHARE = 0.7
-MARKER = "\n...[elided]...\n"
 TOKEN_CHARS = 4
 
 
@@ -26,12 +23,6 @@ def token_estimate(text: Column) -> Column:
     return F.ceil(F.length(text) / TOKEN_CHARS).cast("long")
 
 
-def preview(text: Column, limit: int = PREVIEW_CHARS) -> Column:
-    """Head and tail of a text over the limit, with a marker between them."""
-    head = int(limit * HEAD_SHARE)
-    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, head), F.lit(MARKER), F.right(text, F.lit(limit - head)))).otherwise(text)
-
-
 def slug(text: Column, limit: int = 80) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9._-]+", "-"), "^-+|-+$", ""), 1, limit)
 
@@ -49,15 +40,6 @@ def precision(ts: Column) -> Column:
     return F.when(ts.isNull(), "UNKNOWN").when(F.unix_micros(ts) % 1_000_000 != 0, "MILLISECOND").otherwise("SECOND")
 
 
-def human_bytes(n: Column) -> Column:
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.concat((n / 1024).cast("long").cast("string"), F.lit(" KiB")))
-
-
-def stem(word: Column) -> Column:
-    """A word without a common English suffix."""
-    return F.regexp_replace(word, "(ing|ed|es|s)$", "")
-
-
 def cosine(a: Column, b: Column) -> Column:
     """Of arrays of numbers, in doubles."""
 
@@ -88,6 +70,7 @@ SECRETS = [
     ("aws-access-key", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"),
     ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b"),
 ]
+# Assignments of credentials, and what is no value of one.
 ASSIGNMENT = r"""(?i)\b(password|passwd|secret|api[_-]?key|access[_-]?token|auth[_-]?token)\s*([:=])\s*(["']?)([^\s,"']{8,})"""
 NO_VALUE = r"(?i)^(?:null|none|undefined|unknown|unavailable|redacted|placeholder|example|changeme|not[-_]?set)$"
 REFERENCE = r"(?i)^(?:\$\{|\$env:|%[A-Z0-9_]+%|process\.env\.|os\.environ|env\(|getenv\()"

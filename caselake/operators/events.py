@@ -41,14 +41,15 @@ def anchored_duplicates(rows: DataFrame, key: list[str], ordinal: str, window: i
         now, anchor = None, 0
         for pdf in batches:
             out = []
-            for k, o in zip(zip(*(pdf[c] for c in key), strict=True), pdf[ordinal], strict=True):
+            for k, o in zip(pdf["__key"], pdf[ordinal], strict=True):
                 fresh = k != now or o - anchor > window
                 if fresh:
                     now, anchor = k, o
                 out.append(not fresh)
-            yield pdf.assign(duplicate=out)
+            yield pdf.drop(columns="__key").assign(duplicate=out)
 
-    return rows.repartition(*key).sortWithinPartitions(*key, ordinal).mapInPandas(run, schema)
+    named = rows.withColumn("__key", F.to_json(F.struct(*key), {"ignoreNullFields": "false"}))  # nulls are equal to each other
+    return named.repartition("__key").sortWithinPartitions("__key", ordinal).mapInPandas(run, schema)
 
 
 def user_intervals(events: DataFrame) -> DataFrame:

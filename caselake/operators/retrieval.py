@@ -24,9 +24,10 @@ def lexical(events: DataFrame, terms: list[str], text: str = "text") -> DataFram
 
 
 def inverted_index(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """token, df, cf."""
-    rows = docs.select(doc, F.explode(tokens(F.col(text))).alias("token")).groupBy("token", doc).agg(F.count("*").alias("tf"))
-    return rows.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    """token, df, cf. Both counts are partial sums before they are shuffled, by token alone."""
+    found = docs.select(tokens(F.col(text)).alias("t"))
+    held = found.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    return held.join(found.select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("cf")), "token")
 
 
 def similar(vectors: DataFrame, query: DataFrame, vector: str = "embedding") -> DataFrame:

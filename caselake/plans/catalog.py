@@ -82,11 +82,6 @@ def redact_documents(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit(_SECRET)).cast("long").alias("findings"), F.sha2(F.regexp_replace("text", _SECRET, "[REDACTED]"), 256).alias("redacted_sha256"))
 
 
-@query("""SELECT doc_id, CASE WHEN length(text) > 1200 THEN left(text, 840) || chr(10) || '...[elided]...' || chr(10) || right(text, 360) ELSE text END AS preview FROM documents""")
-def preview_elide(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select("doc_id", fn.preview(F.col("text")).alias("preview"))
-
-
 @query("SELECT doc_id, ceil(length(text) / 4.0)::BIGINT AS tokens FROM documents")
 def token_estimate(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", fn.token_estimate(F.col("text")).alias("tokens"))
@@ -107,11 +102,6 @@ def session_merge(spark, sf_dir):
     return ev.merged(t(spark, sf_dir, "events"), ["user_id"], F.struct("ts", "event_id"), ["event_type"], ["value"])
 
 
-@query("""SELECT o_custkey, arg_min(o_orderkey, o_orderkey) AS kept_first, arg_max(o_orderkey, o_orderkey) AS kept_last, count(*) AS conflicts FROM orders GROUP BY o_custkey""")
-def insert_ignore_replace(spark, sf_dir):
-    return t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", "o_orderkey").alias("kept_first"), F.max_by("o_orderkey", "o_orderkey").alias("kept_last"), F.count("*").alias("conflicts"))
-
-
 _PAIRS = _KEYED + """, p AS (SELECT event_id, user_id, k, event_type, first_value(CASE WHEN event_type IN ('purchase', 'error') THEN event_id END IGNORE NULLS)
 OVER (PARTITION BY user_id, k ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS result_id FROM e) """
 
@@ -234,14 +224,9 @@ def graph_neighbors(spark, sf_dir):
     return graph.neighbors(_edges(spark, sf_dir), "n3", 3)
 
 
-@query(_WALK + "SELECT node, min(depth)::INTEGER AS hops FROM walk WHERE node IN ('r0', 'r1', 'r2', 'r3', 'r4', 'c1', 'c2', 'c3') GROUP BY node")
-def graph_path(spark, sf_dir):
-    found = graph.neighbors(_edges(spark, sf_dir), "n3", 3)
-    return found.where(F.col("node").isin("r0", "r1", "r2", "r3", "r4", "c1", "c2", "c3")).select("node", F.col("depth").alias("hops"))
-
-
-@query(_EDGES + """, b AS (SELECT left(sha256(src), 2) AS b, sha256(string_agg(src || '|' || dst || '|' || type, chr(10) ORDER BY (src || '|' || dst || '|' || type) COLLATE "C")) AS d, count(*) AS n FROM edges GROUP BY ALL)
-SELECT sha256(string_agg(b || ':' || d, chr(10) ORDER BY b)) AS identity, sum(n)::BIGINT AS edges FROM b""".replace(' COLLATE "C"', ""))
+@query(_EDGES + """, b AS (SELECT left(sha256(src), 4) AS b, sha256(string_agg(src || '|' || dst || '|' || type, chr(10) ORDER BY (src || '|' || dst || '|' || type))) AS d, count(*) AS n FROM edges GROUP BY ALL),
+a AS (SELECT left(b, 2) AS a, sha256(string_agg(b || ':' || d, chr(10) ORDER BY b)) AS d, sum(n) AS n FROM b GROUP BY ALL)
+SELECT sha256(string_agg(a || ':' || d, chr(10) ORDER BY a)) AS identity, sum(n)::BIGINT AS edges FROM a""")
 def graph_identity(spark, sf_dir):
     return graph.identity(_edges(spark, sf_dir))
 
@@ -300,15 +285,6 @@ def rrf_fusion(spark, sf_dir):
     return retrieval.fused(a, b, "id").select("id", F.round("score", 9).alias("score"))
 
 
-@query("""SELECT lang, count(*) AS selected, count(l.doc_id) AS covered, CASE WHEN count(l.doc_id) = count(*) THEN 'VERIFIED_PRESENT' WHEN count(l.doc_id) > 0 THEN 'INCONCLUSIVE_COVERAGE' ELSE 'NOT_OBSERVED' END AS state
-FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id GROUP BY lang""")
-def assessment(spark, sf_dir):
-    d, l = t(spark, sf_dir, "documents").select("doc_id", "lang"), t(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("held", F.lit(1))
-    covered = F.count("held")
-    state = F.when(covered == F.count("*"), "VERIFIED_PRESENT").when(covered > 0, "INCONCLUSIVE_COVERAGE").otherwise("NOT_OBSERVED")
-    return d.join(l, "doc_id", "left").groupBy("lang").agg(F.count("*").alias("selected"), covered.alias("covered"), state.alias("state"))
-
-
 @query("""SELECT count(*) AS events, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'purchase') AS completed, count(DISTINCT user_id) AS sessions,
 (epoch_us(min(ts)) // 1000) AS first_ms, (epoch_us(max(ts)) // 1000) AS last_ms, (epoch_us(max(ts)) // 1000) - (epoch_us(min(ts)) // 1000) AS duration_ms FROM events""")
 def case_metrics(spark, sf_dir):
@@ -373,17 +349,6 @@ def slugs(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", fn.slug(F.col("url")).alias("slug"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE (n_chars // 1024) || ' KiB' END AS size FROM documents")
-def format_sizes(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select("doc_id", fn.human_bytes(F.col("n_chars")).alias("size"))
-
-
-@query(f"SELECT DISTINCT regexp_replace(token, '(ing|ed|es|s)$', '') AS stem FROM (SELECT unnest({_TOKENS}) AS token FROM conversations) WHERE length(token) >= 4")
-def stems(spark, sf_dir):
-    words = t(spark, sf_dir, "conversations").select(F.explode(fn.tokens(F.col("text"))).alias("token")).where("length(token) >= 4")
-    return words.select(fn.stem(F.col("token")).alias("stem")).distinct()
-
-
 @query("SELECT event_type, round(avg(value), 6) AS mean_value, quantile_disc(value, 0.5) AS p50 FROM events GROUP BY event_type")
 def macro_scores(spark, sf_dir):
     return t(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean_value"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"))
@@ -427,3 +392,9 @@ def hybrid_graph(spark, sf_dir):
     """Regions and nations as seeds, expanded over the star schema."""
     seeds = t(spark, sf_dir, "nation").where("n_regionkey = 0").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"), (F.col("n_nationkey") + 1).alias("rank"))
     return graph.seeded(_edges(spark, sf_dir), seeds, hops=2).withColumn("contribution", F.round("contribution", 9))
+
+
+from caselake.plans import case_catalog  # noqa: E402
+
+QUERIES |= case_catalog.QUERIES
+ORACLES |= case_catalog.ORACLES

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """source, ordinal, byte_offset, byte_length, sha256, line of every line of every file under path; .gz, .zst and
-    .zstd files are decoded by suffix. Files are not split, so that ordinals follow the file; the window is by source."""
+    .zstd files are decoded by suffix. Plain files may be read in splits, whose places give the order; the window is by source."""
     rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=False)
     rows = rows.select(F.col("_metadata.file_path").alias("source"), F.monotonically_increasing_id().alias("k"), F.col("_metadata.file_block_start").alias("b"), F.col("value").alias("line"))
     order = Window.partitionBy("source").orderBy("b", "k")

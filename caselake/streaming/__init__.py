@@ -1 +1 @@
-
+"""Recorded sessions as they grow."""

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from caselake.functions import text as fn
+from caselake.functions import reading
 from caselake.operators import events as ev
 from caselake.operators import graph, retrieval
 from caselake.plans import catalog
@@ -19,6 +19,8 @@ DATA = "/root/testdata/sf0.001"
 
 def test_anchor_does_not_move_with_a_duplicate(spark):
     rows = spark.createDataFrame([("a", 0), ("a", 15), ("a", 30), ("b", 30), ("b", 50), ("b", 51)], "key string, o long")
+    nulls = spark.createDataFrame([(None, 0), (None, 1), (None, 2), (1, 0), (1, 1)], "key int, o int")
+    assert sorted((r.key or 0, r.o, r.duplicate) for r in ev.anchored_duplicates(nulls, ["key"], "o", 20).collect()) == [(0, 0, False), (0, 1, True), (0, 2, True), (1, 0, False), (1, 1, True)]
     got = {(r.key, r.o): r.duplicate for r in ev.anchored_duplicates(rows, ["key"], "o", 20).collect()}
     assert got == {("a", 0): False, ("a", 15): True, ("a", 30): False, ("b", 30): False, ("b", 50): True, ("b", 51): False}
 
@@ -56,8 +58,8 @@ def test_phrases_and_terms(spark):
 
 def test_preview_and_chunks(spark):
     rows = spark.createDataFrame([(1, "x" * 1201), (2, "short"), (3, "")], "id int, text string")
-    got = {r.id: r.p for r in rows.select("id", fn.preview(F.col("text")).alias("p")).collect()}
-    assert got[2] == "short" and len(got[1]) == 1200 + len(fn.MARKER)
+    got = {r.id: r.p for r in rows.select("id", reading.elided(F.col("text")).alias("p")).collect()}
+    assert got[2] == "short" and got[1] == "x" * 840 + "\n…[1 chars omitted from projection; raw evidence retained]…\n" + "x" * 360
     assert sorted((r.id, r.chunk, len(r.content)) for r in retrieval.fixed_chunks(rows.union(spark.createDataFrame([(4, "y" * 1700)], "id int, text string")), "id", "text").collect()) == [(1, 0, 1201), (2, 0, 5), (3, 0, 0), (4, 0, 1600), (4, 1, 300)]
 
 
