@@ -163,12 +163,12 @@ def semantic_extract(output: Column, status: Column, exit_code: Column) -> Colum
 
 def decisions(text: Column) -> Column:
     """Texts after a decision mark, one a line."""
-    return F.transform(F.regexp_extract_all(text, F.lit(DECISION), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(text, F.lit(DECISION), F.lit(1)), lambda x: F.trim(x))
 
 
 def completions(text: Column) -> Column:
     """Texts after a done-word that begins a line."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(COMPLETION), F.lit(1)), F.trim)
+    found = F.transform(F.regexp_extract_all(text, F.lit(COMPLETION), F.lit(1)), lambda x: F.trim(x))
     return F.transform(found, lambda x: F.when(x == "", "completion reported").otherwise(x))
 
 

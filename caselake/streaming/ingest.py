@@ -12,16 +12,15 @@ from caselake.sources.jsonl import accounted
 
 
 def new_lines(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """source, line, sha256, status, value, observed_at of the lines of files that arrive below a folder."""
+    """source, line, sha256, arrived, status, value, observed_at of the lines of files that arrive below a folder."""
     rows = spark.readStream.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).text(path)
-    rows = rows.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("line"), F.sha2("value", 256).alias("sha256"))
+    rows = rows.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("line"), F.sha2("value", 256).alias("sha256"), F.col("_metadata.file_modification_time").alias("arrived"))
     return accounted(rows).withColumn("observed_at", moment(F.try_variant_get("value", "$.timestamp", "variant")))
 
 
 def once(lines: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Each line of a source once, within the time that lines may be late; lines without a time count as the oldest."""
-    timed = lines.withColumn("observed_at", F.coalesce("observed_at", F.timestamp_seconds(F.lit(0))))
-    return timed.withWatermark("observed_at", late).dropDuplicatesWithinWatermark(["source", "sha256"])
+    """Each line of a source once, as long as its copies arrive within that time of each other."""
+    return lines.withWatermark("arrived", late).dropDuplicatesWithinWatermark(["source", "sha256"])
 
 
 def counts(lines: DataFrame, width: str = "5 minutes", late: str = "1 hour") -> DataFrame:
