@@ -69,7 +69,7 @@ class Dealer:
         self.kind, self.dtype, self.parts, self.hot, self.sign = kind, dtype, parts, hot, sign
         self.held: list[np.ndarray] = []
         self.size = 0
-        self.edges = np.array([-(-(p << 64) // parts) for p in range(1, parts)], np.uint64)
+        self.edges = np.array([-(-(p << 32) // parts) << 32 for p in range(1, parts)] if parts > 1 << 16 else [], np.uint64)
         self.turn = uuid.uuid4().int % parts
 
     def add(self, records: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -83,16 +83,13 @@ class Dealer:
         self.held, self.size = [], 0
         if not len(rows):
             return
-        rows = rows[np.argsort(rows["key"], kind="stable")]
-        out = []
-        if self.hot is not None:
-            first = np.flatnonzero(np.r_[True, rows["key"][1:] != rows["key"][:-1]])
-            count = np.diff(np.r_[first, len(rows)])
-            most = max(4096, len(rows) // (2 * self.parts))
-            over = count > most
-            if over.any():
-                much = np.repeat(over, count)
-                out += self._cut(self.sign, np.array(rows["key"][first[over]], [("key", "<u8")]))
+        out, most = [], max(4096, len(rows) // (2 * self.parts))
+        if self.hot is not None and np.bincount((rows["key"] >> np.uint64(48)).astype(np.int64), minlength=1 << 16).max() > most:
+            keys, count = np.unique(rows["key"], return_counts=True)
+            over = keys[count > most]
+            if len(over):
+                much = np.isin(rows["key"], over)
+                out += self._cut(self.sign, np.array(over, [("key", "<u8")]))
                 spare, rows = rows[much], rows[~much]
                 for at in range(0, len(spare), most):
                     self.turn = (self.turn + 1) % self.parts
@@ -106,8 +103,11 @@ class Dealer:
 
 
     def _cut(self, kind: int, rows: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-        cut = [0, *np.searchsorted(rows["key"], self.edges).tolist(), len(rows)]
-        return [(p, kind, rows[a:b]) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+        part = np.searchsorted(self.edges, rows["key"], side="right") if self.parts > 1 << 16 else ((rows["key"] >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.uint16)
+        order = np.argsort(part, kind="stable")
+        rows, count = rows[order], np.bincount(part, minlength=self.parts)
+        end = np.cumsum(count)
+        return [(p, kind, rows[end[p] - count[p] : end[p]]) for p in np.flatnonzero(count).tolist()]
 
 
 BLOBS = "part int, kind int, blob binary"

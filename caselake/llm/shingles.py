@@ -12,7 +12,7 @@ _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + _ONE
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-BATCH = 2_000_000
+BATCH = 250_000
 
 
 def powers(n: int, base: int) -> np.ndarray:
