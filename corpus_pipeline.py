@@ -43,7 +43,8 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(stage(packing.pieces(docs), "pieces"))
+    """Every id of every document in windows of 4096; the ids stay with their pieces."""
+    return packing.pack(stage(packing.pieces(docs).withColumn("ids_crc32", F.crc32("ids")), "pieces", keep=True))
 
 
 STAGES = [
