@@ -239,7 +239,8 @@ def grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
         kinds = made.where("n > 0").groupBy("digest").agg(F.min("id").alias("class_id"), F.min(F.struct("t1", "t2")).alias("t"), F.first("n").alias("n"), F.first("part").alias("part"))
         reps = stage(kinds.withColumn("id", F.monotonically_increasing_id()), "reps")
         wanted = stage(reps.join(candidates(reps, percent).hint("merge"), "id", "left_semi").select("id", "digest", "t.t1", "t.t2"), "wanted")
-        texts = docs.join(wanted.select("t1", "t2").hint("shuffle_hash"), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"]).select("text")
+        once = docs.select("t1", "t2", "text").dropDuplicates(["t1", "t2"])  # before the shuffle, so that no text is hot
+        texts = once.join(wanted.select("t1", "t2").hint("shuffle_hash"), ["t1", "t2"], "left_semi").select("text")
         sets = stage(whole_sets(texts, words).join(wanted.select("id", "digest").hint("merge"), "digest").select("id", "tokens"), "sets")
         found = linked_sets(sets, percent)
         known = stage(reps.select("id", "digest", "class_id").join(found.hint("merge"), "id", "left").select("digest", "class_id", F.coalesce("component", "id").alias("group")), "groups")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, scratch, stage
 from .shingles import _BYTE, BASE, DOWN, INVERSE, UP, mix, powers
 
-WINDOW, END_ID, GROUP, UNITS, LONG = 4096, 2, 8192, 1 << 21, 64
+WINDOW, END_ID, GROUP, UNITS, LONG = 4096, 2, 8192, 1 << 19, 64
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long"
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
