@@ -435,6 +435,51 @@ def test_large_buckets_of_lines(spark, monkeypatch):
     assert {r.doc_id: r.text for r in got.collect()} == want
 
 
+def test_lines_with_a_passage_in_common_make_no_bucket(spark, monkeypatch):
+    """What a frequent passage joins and nothing else does, isn't fetched; near copies among these lines are found."""
+    monkeypatch.setattr(line_dedup, "HOT_KEY", 20)
+    rng, fetched, stage = random.Random(8), [], line_dedup.stage
+    pool = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9))) for _ in range(2000)]
+    passage = [rng.choice(pool) for _ in range(15)]
+    lines = [" ".join([rng.choice(pool) for _ in range(rng.randrange(20, 40))] + passage) for _ in range(150)]
+    lines += [x + " added" for x in lines[:3]]
+
+    def counted(df, name, keep=False):
+        out = stage(df, name, keep)
+        fetched.extend([out.count()] if name == "bucket-lines" else [])
+        return out
+
+    monkeypatch.setattr(line_dedup, "stage", counted)
+    got = line_dedup.clean(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3))
+    assert {r.doc_id: r.text for r in got.collect()} == dict(enumerate(lines[:150])) | {i: "" for i in (150, 151, 152)}
+    assert 6 <= fetched[0] < 50
+
+
+@pytest.mark.parametrize("live", [False, True])
+def test_near_pairs_against_all_pairs(live):
+    """With components that stay as they are all pairs of counts that are close, else as many as connect the same."""
+    rng = np.random.default_rng(4)
+    for mean, n in [(0.3, 300), (1, 700), (3, 500), (6, 400), (12, 30)]:
+        base = rng.poisson(mean, (6, line_dedup.COUNTERS))
+        counts = base[rng.integers(0, 6, n)] + rng.integers(-1, 2, (n, line_dedup.COUNTERS)) * (rng.random((n, line_dedup.COUNTERS)) < 0.1)
+        counts, key = np.clip(counts, 0, 255).astype(np.uint8), rng.integers(0, 4, n).astype(np.uint64)
+        words = counts.sum(axis=1).astype(np.int64)
+        order = np.lexsort([words, key])
+        counts, key, words = counts[order], key[order], words[order]
+        want, got, root = [], [], np.arange(n)
+        for i, j in combinations(range(n), 2):
+            limit = max(line_dedup.word_edits(int(words[j])), 2)
+            if key[i] == key[j] and words[j] - words[i] <= limit and np.abs(counts[i].astype(int) - counts[j]).sum() <= max(2 * limit, 6):
+                want.append((i, j))
+        for i, j in line_dedup.near_pairs(key, words, counts, 2, np.arange(n), root):
+            got += zip(i.tolist(), j.tolist(), strict=True)
+            for a, b in zip(root[i].tolist(), root[j].tolist(), strict=True) if live else ():
+                a, b = root[a], root[b]
+                root[root == max(a, b)] = min(a, b)
+        assert set(got) <= set(want) and (live or set(got) == set(want))
+        assert components_of(range(n), got) == components_of(range(n), want)
+
+
 def test_hot_keys_are_dealt(monkeypatch):
     """What a Dealer sends out: each record once, hot ones apart, with a sign in the key's own partition."""
     dtype = np.dtype([("key", "<u8"), ("line", "<u8")])
